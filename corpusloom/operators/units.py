@@ -16,6 +16,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +53,8 @@ SPELLINGS = [
 ]
 
 
-def normal_unit(u: Column) -> Column:
-    """A unit's spelling brought to normal form; null where nothing is written."""
-    s = F.regexp_replace(F.lower(F.translate(u, "µμ³⁹⁶¹²", "uu39612")), r"[\s .^*]", "")
-    for a, b in SPELLINGS:
-        s = F.regexp_replace(s, a, b)
-    return F.nullif(s, F.lit(""))
-
-
-def normal_unit_text(u: str) -> str:
-    """``normal_unit`` for the few units of a dimension table."""
+def normal_unit(u: str) -> str:
+    """A unit's spelling brought to normal form; empty where nothing is written."""
     s = re.sub(r"[\s .^*]", "", u.translate(str.maketrans("µμ³⁹⁶¹²", "uu39612")).lower())
     for a, b in SPELLINGS:
         s = re.sub(a, b.replace("$", "\\"), s)
@@ -81,7 +74,7 @@ def components(test: str, common: str, molar_mass: float | None) -> list[Compone
     """The distinct conversions into ``common`` known for a quantity; units that give the same number are one."""
     if test == "HbA1c":
         return [Component(1.0, 0.0, ("%",)), Component(NGSP_SLOPE, NGSP_OFFSET, ("mmol/mol",)), Component(100.0, 0.0, ("l/l",))]
-    common = normal_unit_text(common)
+    common = normal_unit(common)
     m = molar_mass if molar_mass and molar_mass == molar_mass and molar_mass > 0 else None
     grams: dict[str, float] = {}
     if common in MASS or common in MOLAR or common in EQUIV:
@@ -145,18 +138,16 @@ def _prepared(results: DataFrame, quantities: list, key: str) -> DataFrame:
         F.when(F.startswith(F.lower(text), F.lower(name)), F.substring(text, F.length(name) + 1, F.length(text))).otherwise(text).alias("rest"),
     )
     # one row of strings per result, so that each pattern below stands once in the plan
-    base = base.withColumn("raw", F.when(F.col("stored").rlike(r"\d"), F.col("stored")).when(F.trim("stored") == "", F.col("rest"))).withColumn(
-        "given",
-        F.coalesce(*[F.when(u.isNotNull(), F.struct(u.alias("spelling"), F.lit(p).alias("place"))) for p, u in [
-            ("unit", F.col("unit")), ("value", unit_in(F.regexp_replace("stored", lead, ""))), ("name", unit_in(F.regexp_extract("name", r"\(([^()]*)\)\s*$", 1))),
-            ("range", unit_in(F.col("range"))), ("text", unit_in(F.regexp_replace("rest", lead, ""))),
-        ]]),
+    base = base.withColumn("raw", F.when(F.col("stored").rlike(r"\d"), F.col("stored")).when(F.trim("stored") == "", F.col("rest")))
+    base = base.withColumn(
+        "spelling",
+        F.coalesce("unit", unit_in(F.regexp_replace("stored", lead, "")), unit_in(F.regexp_extract("name", r"\(([^()]*)\)\s*$", 1)), unit_in(F.col("range")), unit_in(F.regexp_replace("rest", lead, ""))),
     ).withColumn("ends", F.regexp_extract_all("range", F.lit(r"(\d[\d,]*(?:\.\d+)?)(?![\d^*]*/)"), F.lit(1))).withColumn("printed", F.regexp_extract("raw", r"^[^\d]*?(\d[\d,]*(?:\.\d+)?|\.\d+)", 1))
     end = lambda i: F.regexp_replace(F.get("ends", F.lit(i)), ",", "").try_cast("double")
     two, number = F.size("ends") >= 2, F.regexp_replace("printed", ",", "").try_cast("double")
     clean = base.select(
         "key", "name_key", "held", F.coalesce(number, "held").alias("number"), F.when(number.isNotNull(), F.length(F.regexp_extract("printed", r"\.(\d+)", 1))).alias("decimals"),
-        normal_unit(F.col("given.spelling")).alias("unit_given"), F.col("given.place").alias("given_in"),
+        "spelling", F.when(F.col("unit").isNotNull(), "unit").when(F.col("spelling").isNotNull(), "text").alias("given_in"),
         F.coalesce(F.when(two, end(0)), "ref_low").alias("low"), F.coalesce(F.when(two, end(1)), "ref_high").alias("high"),
     )
     return clean.join(F.broadcast(alias), "name_key")  # a row per spelling in a table of at most MAX_QUANTITIES
@@ -216,45 +207,71 @@ def convert_units(results: DataFrame, lab_units: DataFrame, key: str = "result_i
     Rows without a number, without a positive one, or of unknown quantity give no row; repeated rows are
     converted each; an empty table gives an empty one; other columns of the input are ignored.
     """
-    spark = results.sparkSession
     quantities = _quantities(lab_units)
-    comps = {q["test_name_standardized"]: components(q["test_name_standardized"], q["common_unit"], q["molar_mass"]) for q in quantities}
+    names = [q["test_name_standardized"] for q in quantities]
+    comps = [components(q["test_name_standardized"], q["common_unit"], q["molar_mass"]) for q in quantities]
+    keys = [{k: i for i, c in enumerate(cs) for k in c.keys} for cs in comps]
+    place = {t: i for i, t in enumerate(names)}
+
+    def labels(quantity: pd.Series, spelling: pd.Series) -> tuple[np.ndarray, np.ndarray, pd.Series]:
+        """Per row the quantity's number, the label's unit number (-1 if none is known) and the unit's normal form."""
+        q = quantity.map(place).to_numpy(np.int64)
+        codes, spelled = pd.factorize(spelling)
+        forms = np.array([normal_unit(x) for x in spelled] + [""], dtype=object)[codes]
+        pairs, inv = np.unique(q * (len(spelled) + 1) + codes + 1, return_inverse=True)
+        known = np.array([keys[p // (len(spelled) + 1)].get(normal_unit(spelled[p % (len(spelled) + 1) - 1]), -1) if p % (len(spelled) + 1) else -1 for p in pairs], np.int64)
+        return q, (known[inv] if len(pairs) else np.zeros(0, np.int64)), pd.Series(forms)
+
+    @F.pandas_udf("int")
+    def label_of(quantity: pd.Series, spelling: pd.Series) -> pd.Series:
+        return pd.Series(labels(quantity, spelling)[1])
+
     rows = _prepared(results, quantities, key).where(F.col("number") > 0)
-    labels = spark.createDataFrame([(t, k, i) for t, cs in comps.items() for i, c in enumerate(cs) for k in c.keys] or [("", "", 0)], "quantity string, unit_key string, label int")
-    rows = rows.join(F.broadcast(labels), (rows["quantity"] == labels["quantity"]) & (F.col("unit_given") == F.col("unit_key")), "left").drop(labels["quantity"])
-    cells = rows.groupBy("quantity", F.coalesce("label", F.lit(-1)).alias("label"), F.least(F.coalesce("decimals", F.lit(-1)), F.lit(MAX_DECIMALS)).alias("decimals"), F.floor(F.log10("number") * BINS_PER_DECADE).alias("bin")).agg(F.count("*").alias("n")).collect()
-    model = _fit(cells, quantities, comps)
-    dims = []
-    for q in quantities:
-        t = q["test_name_standardized"]
-        mu, sd, trust, w, shares = model[t]
-        kinds = [(i, c.slope, c.offset, math.log(max(wi, 1e-12)), c.keys[0], ld) for i, (c, wi, ld) in enumerate(zip(comps[t], w, shares))]
-        dims.append((t, q["common_unit"], q["step"] or 0.0, q["typical_low"] or 0.0, q["typical_high"] or 0.0, mu, sd, math.log(trust), math.log(1 - trust), kinds))
-    dim = spark.createDataFrame(dims or [("", "", 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, [])], "quantity string, common_unit string, step double, t_low double, t_high double, mu double, sd double, right double, wrong double, kinds array<struct<i:int,a:double,b:double,lw:double,unit:string,ld:array<double>>>")
-
-    def score(k: Column) -> Column:
-        common = k["a"] * F.col("number") + k["b"]
-        at = lambda c: k["a"] * c + k["b"]
-        lw = F.when(F.col("label").isNull(), k["lw"]).when(F.col("label") == k["i"], F.col("right")).otherwise(F.col("wrong") + k["lw"])
-        value = -0.5 * F.pow((F.log10(common) - F.col("mu")) / F.col("sd"), F.lit(2)) + F.log(k["a"] * F.col("number") / common)
-        off = F.greatest(F.abs(F.log10(at(F.col("low")) / F.col("t_low"))), F.abs(F.log10(at(F.col("high")) / F.col("t_high"))))
-        ranged = (F.col("low") > 0) & (F.col("high") > F.col("low")) & (F.col("t_low") > 0) & (F.col("t_high") > 0)
-        reach = F.greatest(F.lit(0.02), 0.525 * F.pow(F.lit(10.0), -F.col("decimals").cast("double")) * k["a"] / F.col("step"))
-        miss = F.abs(common / F.col("step") - F.round(common / F.col("step")))
-        grid = F.when(reach >= 0.5, 0.0).when(miss <= reach, F.log(TRUST_GRID / (2 * reach) + (1 - TRUST_GRID))).otherwise(math.log(1 - TRUST_GRID))
-        return F.struct(
-            (lw + value + F.get(k["ld"], F.least(F.coalesce("decimals", F.lit(-1)), F.lit(MAX_DECIMALS)) + 1) + F.when(ranged, F.greatest(F.lit(RANGE_FLOOR), -0.5 * F.pow(off / RANGE_SD, F.lit(2)))).otherwise(0.0) + F.when((F.col("step") > 0) & F.col("decimals").isNotNull(), grid).otherwise(0.0)).alias("lp"),
-            (-k["i"]).alias("tie"), k["a"].alias("a"), k["b"].alias("b"), k["unit"].alias("unit"),
-        )
-
-    scored = rows.join(F.broadcast(dim), "quantity").withColumn("scores", F.transform("kinds", score)).withColumn("best", F.array_max("scores"))
-    total = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + F.exp(s["lp"] - F.col("best.lp")))
-    common = F.col("best.a") * F.col("number") + F.col("best.b")
+    near = F.least(F.coalesce("decimals", F.lit(-1)), F.lit(MAX_DECIMALS))
+    cells = rows.groupBy("quantity", "spelling", near.alias("decimals"), F.floor(F.log10("number") * BINS_PER_DECADE).alias("bin")).agg(F.count("*").alias("n"))
+    cells = cells.groupBy("quantity", label_of("quantity", "spelling").alias("label"), "decimals", "bin").agg(F.sum("n").alias("n")).collect()
+    model = _fit(cells, quantities, dict(zip(names, comps)))
+    width = max([len(cs) for cs in comps], default=1)
+    table = lambda f, fill: np.array([[f(i, k) if k < len(cs) else fill for k in range(width)] for i, cs in enumerate(comps)], float).reshape(len(comps), width)
+    slope, offset = table(lambda i, k: comps[i][k].slope, 1.0), table(lambda i, k: comps[i][k].offset, 0.0)
+    weight = table(lambda i, k: math.log(max(model[names[i]][3][k], 1e-12)), -1e9)
+    decimal = np.array([[model[names[i]][4][k] if k < len(cs) else [0.0] * (MAX_DECIMALS + 2) for k in range(width)] for i, cs in enumerate(comps)], float).reshape(len(comps), width, MAX_DECIMALS + 2)
+    mu, sd, trust = (np.array([model[t][n] for t in names], float) for n in range(3))
+    low0, high0, step0 = (np.array([q[c] or 0.0 for q in quantities], float) for c in ("typical_low", "typical_high", "step"))
+    units = np.array([[cs[k].keys[0] if k < len(cs) else "" for k in range(width)] for cs in comps], dtype=object).reshape(len(comps), width)
+
+    @F.pandas_udf("unit_given string, unit_assigned string, a double, b double, posterior double")
+    def assign(quantity: pd.Series, spelling: pd.Series, number: pd.Series, decimals: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
+        q, label, forms = labels(quantity, spelling)
+        x, lo, hi = (s.to_numpy(float)[:, None] for s in (number, low, high))
+        a, b = slope[q], offset[q]
+        with np.errstate(all="ignore"):
+            common = a * x + b
+            given = np.zeros_like(a)
+            given[np.arange(len(q))[label >= 0], label[label >= 0]] = 1.0
+            prior = np.where(label[:, None] >= 0, trust[q][:, None] * given + (1 - trust[q])[:, None] * np.exp(weight[q]), np.exp(weight[q]))
+            lp = np.log(np.maximum(prior, 1e-300)) - 0.5 * ((np.log10(common) - mu[q][:, None]) / sd[q][:, None]) ** 2 + np.log(a * x / common)
+            d = decimals.to_numpy(float)
+            lp += np.take_along_axis(decimal[q], np.minimum(np.where(np.isnan(d), -1, d), MAX_DECIMALS).astype(int)[:, None, None] + 1, 2)[:, :, 0]
+            t_lo, t_hi, step = low0[q][:, None], high0[q][:, None], step0[q][:, None]
+            off = np.maximum(np.abs(np.log10((a * lo + b) / t_lo)), np.abs(np.log10((a * hi + b) / t_hi)))
+            lp += np.where((lo > 0) & (hi > lo) & (t_lo > 0) & (t_hi > 0), np.maximum(RANGE_FLOOR, -0.5 * (off / RANGE_SD) ** 2), 0.0)
+            reach = np.maximum(0.02, 0.525 * 10.0 ** -d[:, None] * a / step)
+            miss = np.abs(common / step - np.round(common / step))
+            grid = np.where(reach >= 0.5, 0.0, np.where(miss <= reach, np.log(TRUST_GRID / (2 * reach) + 1 - TRUST_GRID), math.log(1 - TRUST_GRID)))
+            lp += np.where((step > 0) & ~np.isnan(d[:, None]), grid, 0.0)
+            lp = np.nan_to_num(lp, nan=-1e9)
+            best = lp.argmax(1)
+            at = np.arange(len(q))
+            return pd.DataFrame({"unit_given": forms.where(forms != "", None), "unit_assigned": units[q, best], "a": a[at, best], "b": b[at, best], "posterior": 1 / np.exp(lp - lp.max(1, keepdims=True)).sum(1)})
+
+    dim = results.sparkSession.createDataFrame([(t, q["step"] or 0.0) for t, q in zip(names, quantities)] or [("", 0.0)], "quantity string, step double")
+    scored = rows.withColumn("u", assign("quantity", "spelling", "number", "decimals", "low", "high")).join(F.broadcast(dim), "quantity")
+    common = F.col("u.a") * F.col("number") + F.col("u.b")
     return scored.select(
-        F.col("key").alias(key), "quantity", "held", "number", "unit_given", "given_in", F.col("best.unit").alias("unit_assigned"),
-        ((F.col("best.a") == 1) & (F.col("best.b") == 0)).alias("same_number"), common.alias("common_value"),
-        (F.col("best.a") * F.col("low") + F.col("best.b")).alias("common_low"), (F.col("best.a") * F.col("high") + F.col("best.b")).alias("common_high"),
-        F.when(F.col("step") > 0, F.round(common / F.col("step")).cast("long")).alias("value_steps"), (1 / total).alias("posterior"), ((1 / total) < UNCERTAIN_BELOW).alias("uncertain"),
+        F.col("key").alias(key), "quantity", "held", "number", "u.unit_given", "given_in", "u.unit_assigned", ((F.col("u.a") == 1) & (F.col("u.b") == 0)).alias("same_number"), common.alias("common_value"),
+        (F.col("u.a") * F.col("low") + F.col("u.b")).alias("common_low"), (F.col("u.a") * F.col("high") + F.col("u.b")).alias("common_high"),
+        F.when(F.col("step") > 0, F.round(common / F.col("step")).cast("long")).alias("value_steps"), "u.posterior", (F.col("u.posterior") < UNCERTAIN_BELOW).alias("uncertain"),
     )
 
 
