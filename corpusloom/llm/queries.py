@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language
+from . import language, splitting
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -38,3 +38,27 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_languages(spark: SparkSession, d: str) -> DataFrame:
     """Language and confidence of every text and block."""
     return _languages(spark, d).select("ocr_id", "segment_no", "language", F.round("confidence", 4).alias("confidence"), "ambiguous")
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
+    clauses = table(spark, d, "clauses").select(F.lit("clauses").alias("origin"), F.col("clause_id").alias("item_id"), F.col("content").alias("text"))
+    results = table(spark, d, "clause_results").select(F.lit("clause_results").alias("origin"), F.col("result_id").alias("item_id"), F.col("original").alias("text"))
+    return splitting.split_texts(clauses.unionByName(results), ["origin", "item_id"], "text")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that had to be cut into pieces."""
+    return _pieces(spark, d).select("origin", "item_id").distinct()
+
+
+ORACLE["p3_found"] = """
+SELECT 'clauses' AS origin, clause_id AS item_id FROM clauses WHERE length(content) > 1200
+UNION SELECT 'clause_results', result_id FROM clause_results WHERE length(original) > 1200
+"""
+
+
+@query
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all texts over the limit, in order, with their offsets."""
+    return _pieces(spark, d)
