@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, splitting
+from . import language, splitting, visual
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -62,3 +62,30 @@ UNION SELECT 'clause_results', result_id FROM clause_results WHERE length(origin
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of all texts over the limit, in order, with their offsets."""
     return _pieces(spark, d)
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents whose texts look the same but are stored with different characters."""
+    return visual.look_alike_pairs(table(spark, d, "documents"), "doc_id", "text").distinct()
+
+
+_FROM = "".join(visual.LOOK_ALIKE) + "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u00a0\u2007\u2009\u202f"
+_TO = "".join(visual.LOOK_ALIKE.values()) + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + "    "
+ORACLE["p10_found"] = f"""
+WITH f AS (SELECT doc_id, text, nfc_normalize(replace(replace(translate(regexp_replace(text, '[\u00ad\u200b-\u200f\u2060-\u206f\ufeff]', '', 'g'),
+  '{_FROM.replace("'", "''")}', '{_TO.replace("'", "''")}'), 'ﬁ', 'fi'), 'ﬂ', 'fl')) AS seen FROM documents WHERE text IS NOT NULL)
+SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.seen = b.seen AND a.doc_id < b.doc_id AND a.text <> b.text
+"""
+
+
+@query
+def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text in its consistent form."""
+    return table(spark, d, "documents").select("doc_id", visual.canonical_text("text").alias("canonical"))
+
+
+@query
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of equal-looking texts of every document, with its size."""
+    return visual.look_classes(table(spark, d, "documents"), "doc_id", "text")
