@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, splitting, visual
+from . import language, pii, splitting, visual
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -89,3 +89,24 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
 def p10_classes(spark: SparkSession, d: str) -> DataFrame:
     """The class of equal-looking texts of every document, with its size."""
     return visual.look_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
+PERSONAL = [("medical_reports", "row_id", "patient_name"), ("ocr_results", "ocr_id", "text"), ("clause_results", "result_id", "original")]
+
+
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    parts = [pii.find(table(spark, d, t), k, c, field=c == "patient_name").select(F.lit(t).alias("origin"), F.col(k).alias("row_id"), "mentions", "redacted") for t, k, c in PERSONAL]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct mention of personal data in the three text columns."""
+    m = _personal(spark, d).select("origin", "row_id", F.explode("mentions").alias("m"))
+    return m.select("origin", "row_id", "m.kind", "m.mention").distinct()
+
+
+@query
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with each mention replaced by a placeholder of its type."""
+    return _personal(spark, d).select("origin", "row_id", "redacted", F.size("mentions").alias("n_mentions"))
