@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, pii, splitting, visual
+from . import language, leakage, pii, splitting, visual
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -110,3 +110,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     """The texts with each mention replaced by a placeholder of its type."""
     return _personal(spark, d).select("origin", "row_id", "redacted", F.size("mentions").alias("n_mentions"))
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with 13 or more consecutive words of an evaluation item, or all of a shorter one."""
+    return _leaks(spark, d).where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
+
+
+@query
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """All leaks with their evidence, paraphrases included."""
+    return _leaks(spark, d)
