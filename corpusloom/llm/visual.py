@@ -36,33 +36,61 @@ IGNORABLE = [
     (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 ]
 _IGNORE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in IGNORABLE) + "]")
+_ASCII_SPACE = str.maketrans("\t\x0b\x0c", "   ")
 _BREAK = re.compile("\r\n|[\r\x85  ]")
 
 
 @lru_cache(maxsize=1)
-def _table() -> dict[int, str]:
-    spaces = {c: " " for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Zs"}
-    return spaces | {9: " ", 11: " ", 12: " "} | {ord(k): v for k, v in LOOK_ALIKE.items()}
+def _table() -> dict[str, str]:
+    spaces = {chr(c): " " for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Zs" and c != 32}
+    return spaces | dict.fromkeys("\t\x0b\x0c", " ") | LOOK_ALIKE
+
+
+def _mapped(text: str) -> str:
+    """White space and look-alike letters mapped; only characters that occur are touched."""
+    table = _table()
+    for c in table.keys() & set(text):
+        text = text.replace(c, table[c])
+    return text
 
 
 def look(text: str) -> str:
     """The text as it looks: equal for texts that can't be told apart by eye (full and normal width alike)."""
-    if text.isascii():
-        return _BREAK.sub("\n", text).replace("\t", " ")
-    t = unicodedata.normalize("NFKC", _IGNORE.sub("", _BREAK.sub("\n", text)))
-    return unicodedata.normalize("NFC", _IGNORE.sub("", t).translate(_table()))
+    t = _BREAK.sub("\n", text)
+    if t.isascii():
+        return t.translate(_ASCII_SPACE)
+    t = _IGNORE.sub("", t)
+    if not unicodedata.is_normalized("NFKC", t):
+        t = _IGNORE.sub("", unicodedata.normalize("NFKC", t))
+    return unicodedata.normalize("NFC", _mapped(t))
+
+
+def _folded(t: str) -> str:
+    """A look in consistent form."""
+    if t.isascii():
+        return t.lower()
+    c = t.casefold()
+    return c if c == t else unicodedata.normalize("NFC", _mapped(unicodedata.normalize("NFKC", c)))
 
 
 def canonical(text: str) -> str:
     """The consistent form: the look, case-folded in full and composed again."""
-    t = look(text)
-    return t.lower() if t.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFKC", t.casefold()).translate(_table()))
+    return _folded(look(text))
 
 
 def _digest(text: str) -> bytes:
     return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
+def _three(text: str) -> tuple[bytes, bytes, bytes]:
+    """Digests of a text as stored, of its look and of its form; equal strings are digested once."""
+    seen = look(text)
+    form = _folded(seen)
+    a = _digest(text)
+    b = a if seen == text else _digest(seen)
+    return a, b, b if form == seen else _digest(form)
+
+
 def _per_distinct(texts: pd.Series, f) -> pd.Series:
     codes, distinct = pd.factorize(texts)
     done = pd.Series([f(t) for t in distinct] + [None], dtype=object)
@@ -77,7 +105,7 @@ def canonical_text(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.BinaryType()) for n in ("stored", "look", "form")]))
 def _digests(texts: pd.Series) -> pd.DataFrame:
-    rows = _per_distinct(texts, lambda t: (_digest(t), _digest(lk := look(t)), _digest(lk if lk == (c := canonical(t)) else c)))
+    rows = _per_distinct(texts, lambda t: _three(t))
     return pd.DataFrame([r if isinstance(r, tuple) else (None, None, None) for r in rows], columns=["stored", "look", "form"])
 
 
