@@ -13,7 +13,6 @@ dropping the blocks whose label the first round contradicts.
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -87,6 +86,18 @@ _FOLD = str.maketrans({"0": "o", "1": "i", "l": "i", "|": "i", "5": "s", "8": "b
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def common_subsequence(a, b) -> int:
+    """Length of the longest common subsequence of two sequences, by bit-parallel rows."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for x in b:
+        m = where.get(x, 0)
+        row = ((row + (row & m)) | (row & ~m)) & full
+    return len(a) - row.bit_count()
+
+
 def furniture(text: str) -> set[str]:
     """Lines that repeat in a text, numbers and misread characters apart, without ending a sentence.
 
@@ -101,15 +112,16 @@ def furniture(text: str) -> set[str]:
     repeated = [s for s, n in seen.items() if n > 1 and len(s) > 3]
     if not repeated:
         return set()
-    near = lambda s: any(abs(len(s) - len(r)) <= 0.2 * len(r) and SequenceMatcher(None, s, r).ratio() >= 0.8 for r in repeated)
+    near = lambda s: any(abs(len(s) - len(r)) <= 0.2 * len(r) and 2 * common_subsequence(s, r) >= 0.85 * (len(s) + len(r)) for r in repeated)
     return {ln for ln in open_lines if shape[ln] in repeated or near(shape[ln])}
 
 
 def featurize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket ids of all n-grams of all texts, and where each text's begin."""
+    """Bucket ids of all n-grams of all texts, and where each text's begin; blanks stand only at an n-gram's ends."""
     joined = "\n".join(f" {t} " for t in texts) + "\n"
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     ends = np.flatnonzero(cp == 10)
+    blanks = np.concatenate([[0], np.cumsum(cp == 32)])
     owner = np.searchsorted(ends, np.arange(len(cp)), side="left")
     ids, own, h = [], [], np.zeros(len(cp), np.uint64)
     for n in range(1, max(GRAMS) + 1):
@@ -119,6 +131,8 @@ def featurize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             g = h * np.uint64(0xFF51AFD7ED558CCD)
             ok = owner[: len(part)] == owner[n - 1 :]
             ok &= (part != 10) & ((part != 32) if n == 1 else True)
+            if n > 2:  # no blank inside
+                ok &= blanks[n - 1 : len(cp)] == blanks[1 : len(part) + 1]
             ids.append((g[ok] >> np.uint64(48)).astype(np.int32) & (BUCKETS - 1))
             own.append(owner[: len(part)][ok])
     ids, own = np.concatenate(ids), np.concatenate(own)
@@ -126,14 +140,39 @@ def featurize(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], np.searchsorted(own[order], np.arange(len(texts) + 1))
 
 
+class _Bags:
+    """Texts as bags of words, and the n-gram buckets of each distinct word."""
+
+    def __init__(self, texts: list[str]):
+        place: dict[str, int] = {}
+        self.texts = [np.unique(np.array([place.setdefault(w, len(place)) for w in t.split()], np.int64), return_counts=True) for t in texts]
+        ids, at = featurize(list(place))
+        self.ids, self.at = ids.astype(np.uint16), at  # buckets are below 65,536, and short numbers sort fastest
+
+    def batch(self, rows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts: counts of their words, and of these words the lengths, the buckets and where they begin."""
+        used, inv = np.unique(np.concatenate([self.texts[r][0] for r in rows]), return_inverse=True)
+        counts = np.zeros((len(rows), len(used)), np.float32)
+        counts[np.repeat(np.arange(len(rows)), [len(self.texts[r][0]) for r in rows]), inv] = np.concatenate([self.texts[r][1] for r in rows])
+        n = self.at[used + 1] - self.at[used]
+        starts = np.cumsum(n) - n
+        return counts, n, self.ids[np.repeat(self.at[used] - starts, n) + np.arange(n.sum())], starts
+
+
 def codewords(k: int) -> np.ndarray:
-    """Codewords of +1/-1 for ``k`` classes: rows of a Hadamard matrix, columns that part no classes left out."""
-    m = 1 << max(3, int(np.ceil(np.log2(2 * k))))
-    h = np.array([[1]])
-    while len(h) < m:
-        h = np.block([[h, h], [h, -h]])
-    c = h[1 : k + 1]
-    return c[:, np.abs(c.sum(0)) < k].astype(np.float32)
+    """Codewords of +1/-1 for ``k`` classes: rows of a Hadamard matrix of order ``m``, at a distance of ``m / 2``.
+
+    The rows are the powers of two and their sums with the first, so that no two columns (bits) are equal or
+    complementary; the constant column is left out.
+    """
+    if k < 3:
+        return np.array([[1.0], [-1.0]][:k], np.float32)
+    bits = int(np.ceil((k + 3) / 3))
+    powers = [1 << i for i in range(bits)]
+    rows = (powers + [p | 1 for p in powers[1:]] + [p | 2 for p in powers[2:]])[:k]
+    cols = np.arange(1, 1 << bits)
+    parity = np.array([[bin(r & c).count("1") % 2 for c in cols] for r in rows])
+    return (1 - 2 * parity).astype(np.float32)
 
 
 class Ecoc:
@@ -143,74 +182,137 @@ class Ecoc:
         self.classes, self.code = classes, codewords(len(classes))
         self.w = np.zeros((BUCKETS, self.code.shape[1]), np.float32)
         self.trust = np.ones(self.code.shape[1], np.float32)
+        #: Classes that had labelled rows; others are never chosen.
+        self.known = np.zeros(len(classes), bool)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of word scores."""
+        self._place: dict[str, int] = {}
+        self._sums, self._count = np.zeros((0, self.code.shape[1]), np.float32), np.zeros(0, np.float32)
+
+    def __getstate__(self) -> dict:
+        self.forget()
+        return self.__dict__
+
+    def _learn(self, new: list[str]) -> None:
+        for i in range(0, len(new), 8192):
+            part = new[i : i + 8192]
+            ids, at = featurize(part)
+            sums = np.zeros((len(part), self.w.shape[1]), np.float32)
+            full = np.flatnonzero(np.diff(at))
+            if len(full):
+                sums[full] = np.add.reduceat(self.w[ids], at[:-1][full], axis=0)
+            self._sums, self._count = np.vstack([self._sums, sums]), np.concatenate([self._count, np.diff(at).astype(np.float32)])
 
     def margins(self, texts: list[str]) -> np.ndarray:
+        """Bit margins of texts of words between single blanks.
+
+        N-grams don't cross words, so a text's score is the sum of its words'; words are scored once and remembered
+        (at most half a million).  Texts are taken in chunks bounded by words.
+        """
         out = np.zeros((len(texts), self.code.shape[1]), np.float32)
-        for i in range(0, len(texts), 256):
-            part = texts[i : i + 256]
-            ids, at = featurize(part)
-            if not len(ids):
-                continue
-            n = np.diff(at)
-            sums = np.add.reduceat(np.vstack([self.w[ids], np.zeros((1, self.w.shape[1]), np.float32)]), at[:-1], axis=0)
-            out[i : i + len(part)] = np.where(n[:, None] > 0, sums / np.sqrt(np.maximum(n, 1))[:, None], 0)
+        i = 0
+        while i < len(texts):
+            lists, n, at = [], 0, i
+            while i < len(texts) and (n < 200_000 or not lists):
+                lists.append(texts[i].split())
+                n += len(lists[-1])
+                i += 1
+            if len(self._place) > 500_000:
+                self.forget()
+            place, new = self._place, []
+            for ws in lists:
+                for w in ws:
+                    if w not in place:
+                        place[w] = len(place)
+                        new.append(w)
+            self._learn(new)
+            index = np.fromiter((place[w] for ws in lists for w in ws), np.int64, n)
+            sizes = np.array([len(ws) for ws in lists])
+            starts = np.cumsum(sizes) - sizes
+            full = np.flatnonzero(sizes)
+            if len(full):
+                sums = np.add.reduceat(self._sums[index], starts[full], axis=0)
+                grams = np.add.reduceat(self._count[index], starts[full])
+                out[at + full] = sums / np.sqrt(np.maximum(grams, 1))[:, None]
         return out
 
     def fit(self, texts: list[str], y: np.ndarray, epochs: int = 4, rate: float = 0.5) -> None:
-        rng, target = np.random.default_rng(7), self.code[y]
+        """Logistic regression of each bit by AdaGrad; texts' scores are sums of their words' scores."""
+        bags, rng, target = _Bags(texts), np.random.default_rng(7), self.code[y]
         g2 = np.full_like(self.w, 1e-3)
+        self.known[np.unique(y)] = True
         for _ in range(epochs):
             order = rng.permutation(len(texts))
             for i in range(0, len(order), 128):
                 rows = order[i : i + 128]
-                ids, at = featurize([texts[r] for r in rows])
-                n = np.diff(at)
-                if not len(ids):
-                    continue
-                scale = 1 / np.sqrt(np.maximum(n, 1))
-                sums = np.add.reduceat(np.vstack([self.w[ids], np.zeros((1, self.w.shape[1]), np.float32)]), at[:-1], axis=0)
-                m = np.where(n[:, None] > 0, sums * scale[:, None], 0)
+                counts, n, ids, starts = bags.batch(rows)
+                scale = 1 / np.sqrt(np.maximum(counts @ n.astype(np.float32), 1))
+                m = (counts @ np.add.reduceat(self.w[ids], starts, axis=0)) * scale[:, None]
                 grad = -target[rows] / (1 + np.exp(np.clip(target[rows] * m, -30, 30))) * scale[:, None]
-                uniq, inv = np.unique(ids, return_inverse=True)
-                per, own = np.repeat(np.arange(len(rows)), n), grad
-                step = np.stack([np.bincount(inv, weights=own[per, b], minlength=len(uniq)) for b in range(own.shape[1])], 1) / len(rows)
+                by = np.argsort(ids, kind="stable")
+                ends = np.flatnonzero(np.diff(ids[by], prepend=np.uint16(ids[by][0] ^ 1)))
+                step = np.add.reduceat(np.repeat(counts.T @ grad.astype(np.float32), n, axis=0)[by], ends, axis=0) / len(rows)
+                uniq = ids[by][ends]
                 g2[uniq] += step**2
                 self.w[uniq] -= (rate * step / np.sqrt(g2[uniq])).astype(np.float32)
+        self.forget()
         right = (np.sign(self.margins(texts)) == target).mean(0)
         self.trust = np.clip(np.log(np.clip(right, 0.5001, 0.9999) / (1 - np.clip(right, 0.5001, 0.9999))), 0.05, None).astype(np.float32)
 
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class numbers and confidences."""
+        """Class numbers and confidences; classes without labelled rows are left out."""
         m = np.clip(margins[:, None, :] * self.code[None], -30, 30)
         loss = (np.log1p(np.exp(-m)) * self.trust).sum(2) / self.trust.sum() * self.code.shape[1]
+        loss = np.where(self.known | ~self.known.any(), loss, np.inf)
         p = np.exp(-(loss - loss.min(1, keepdims=True)))
         return loss.argmin(1), (p.max(1) / p.sum(1)).astype(float)
 
 
 def labelled_sample(rows: DataFrame, text: str, label: str, per: int = SAMPLE_PER_LANGUAGE) -> pd.DataFrame:
-    """About ``per`` rows of each language named alone by its label, chosen by hash; two bounded actions."""
+    """About ``per`` rows of each language named alone by its label, chosen by content hash, in an order that
+    doesn't depend on how files are partitioned; two bounded actions."""
     one = label_languages(F.col(label))
-    lab = rows.select(F.substring(F.col(text), 1, 6 * TRAIN_CHARS).alias("t"), F.get(one, F.lit(0)).alias("l"), F.xxhash64(F.col(text)).alias("h"), F.size(one).alias("n"))
+    lab = rows.select(F.col(text).alias("t"), F.get(one, F.lit(0)).alias("l"), F.xxhash64(F.col(text)).alias("h"), F.size(one).alias("n"))
     lab = lab.where((F.col("n") == 1) & (F.col("l") != "mul") & F.col("t").isNotNull())
     counts = {r["l"]: r["n"] for r in lab.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return pd.DataFrame({"t": [], "l": []})
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per / n))])
     taken = lab.where(F.pmod(F.col("h"), F.lit(1_000_003)) < F.lit(1_000_003) * F.element_at(share, F.col("l")))
-    return taken.select("t", "l").limit(2 * per * len(LANGUAGES)).toPandas()
+    # copies of one text share a hash: they are taken once a label, so the sample stays near its bound
+    found = taken.select("t", "l", "h").distinct().orderBy("h", "l", "t").limit(2 * per * len(LANGUAGES)).toPandas()
+    return found[["t", "l"]]
+
+
+def _training_blocks(text: str) -> list[str]:
+    """All evidence of a text, a block at a time, blocks longer than ``TRAIN_CHARS`` in parts."""
+    skip, out = furniture(text), []
+    for b in blocks(text):
+        e = evidence("\n".join(ln for ln in b.split("\n") if ln.strip() not in skip))
+        at = 0
+        while len(e) - at > TRAIN_CHARS:
+            cut = e.find(" ", at + TRAIN_CHARS)
+            if cut < 0:
+                break
+            out.append(e[at:cut])
+            at = cut + 1
+        out.append(e[at:])
+    return [e for e in out if len(e) >= MIN_LETTERS]
 
 
 def train(samples: list[pd.DataFrame]) -> Ecoc:
-    """Trains on the blocks of labelled texts, twice: the second time without blocks the first contradicts."""
+    """Trains on the blocks of labelled texts, twice: the second time without blocks the first contradicts.
+
+    Without any labelled row the model knows no language and names none.
+    """
     texts, y = [], []
     for s in samples:
         for t, lab in zip(s["t"], s["l"]):
-            skip = furniture(t)
-            for b in blocks(t)[:4]:
-                e = evidence("\n".join(ln for ln in b.split("\n") if ln.strip() not in skip))[:TRAIN_CHARS]
-                if len(e) >= MIN_LETTERS:
-                    texts.append(e)
-                    y.append(LANGUAGES.index(lab))
+            for e in _training_blocks(t):
+                texts.append(e)
+                y.append(LANGUAGES.index(lab))
     y = np.array(y, int)
     model = Ecoc(LANGUAGES)
     if len(texts):
@@ -236,7 +338,7 @@ def detect_blocks(texts: list[str], model: Ecoc) -> list[list[tuple[int, str | N
     got, sure = model.decode(model.margins(flat)) if flat else ([], [])
     out: list[list] = [[] for _ in texts]
     for (i, k, own), e, g, s in zip(where, flat, got, sure):
-        out[i].append((k, model.classes[g] if e else None, float(s) if e else 0.0, own))
+        out[i].append((k, model.classes[g] if e and model.known.any() else None, float(s) if e else 0.0, own))
     return out
 
 

@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .language import common_subsequence
 from .visual import canonical
 
 RUN, WINDOW, STRIDE = 13, 26, 13
@@ -161,18 +162,6 @@ def fit(items: Items, spark) -> Items:
     return items
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
-    where: dict[int, int] = {}
-    for i, w in enumerate(a):
-        where[w] = where.get(w, 0) | 1 << i
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for w in b:
-        m = where.get(w, 0)
-        row = ((row + (row & m)) | (row & ~m)) & full
-    return len(a) - row.bit_count()
-
-
 class _Coder:
     """Words of documents as vocabulary numbers (-1 if no item has them) and weights, with a bounded memory."""
 
