@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, pii, splitting, visual
+from . import language, leakage, mixing, pairs, pii, splitting, visual
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -126,3 +126,38 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
     """All leaks with their evidence, paraphrases included."""
     return _leaks(spark, d)
+
+
+ANSWERS = {"simplified": "en", "colloquial": "en", "hindi_formal": "hi"}
+
+
+def _defects(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "clause_results"), "result_id", "original", ANSWERS, _language_model(spark, d))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective answers with the first defect that holds."""
+    return _defects(spark, d).where("defect is not null").distinct()
+
+
+@query
+def p5_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Answers per field and defect ("none" where there is none)."""
+    return _defects(spark, d).groupBy("field", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n_answers"))
+
+
+def _mix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents"), "doc_id", "text", "source", table(spark, d, "mix_targets"))
+
+
+@query
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixed set: which tokens of which document stand at each position of each shard."""
+    return _mix(spark, d)[0]
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every source, and how often its documents were used at most."""
+    return _mix(spark, d)[1]
