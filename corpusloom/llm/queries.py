@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import language, leakage, mixing, pairs, pii, splitting, visual
+from . import language, leakage, mixing, pairs, pii, scans, splitting, visual
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -161,3 +161,15 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and reached share of every source, and how often its documents were used at most."""
     return _mix(spark, d)[1]
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Broken words, misread words, running headers and page numbers of the scanned texts."""
+    return scans.find(table(spark, d, "ocr_results"), "ocr_id", "text").select("ocr_id", "kind", "item").distinct()
+
+
+@query
+def p7_text(spark: SparkSession, d: str) -> DataFrame:
+    """The scanned texts repaired into continuous paragraphs."""
+    return scans.paragraphs(table(spark, d, "ocr_results"), "ocr_id", "text")
