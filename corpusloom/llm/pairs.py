@@ -105,7 +105,7 @@ def _facts(rows: DataFrame, key: str, prompt: str, answers: dict[str, str], mode
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        m = shared.value
+        codes = shared.value
         for b in batches:
             out, texts = [], []
             for r in b.itertuples(index=False):
@@ -120,16 +120,16 @@ def _facts(rows: DataFrame, key: str, prompt: str, answers: dict[str, str], mode
                     opening = " ".join(masked(parts[0]).split()[:OPENING])
                     seen = _DROPPED_BLANKS.sub("", t)
                     ended = seen[-1:] in ".।!?॥" and not seen.endswith(("..", " ."))
-                    whole = [_hash(m) for s in (parts if ended else parts[:-1]) if _LETTER.search(m := masked(s))]
+                    whole = [_hash(x) for s in (parts if ended else parts[:-1]) if _LETTER.search(x := masked(s))]
                     e = evidence(t)
                     out.append([
                         r[0], field, lang, False, copies(pw, aw), None, len(e.replace(" ", "")), opening, _hash(opening), bool(_STRONG.search(t[:400])), bool(_WEAK.search(t[:400])),
                         ended, _hash(last) if _LETTER.search(last := masked(parts[-1])) else 0, whole, pid, temp,
                     ])
                     texts.append(e)
-            got, _ = m.decode(m.margins(texts)) if texts else ([], [])
+            got, _ = codes.decode(codes.margins(texts)) if texts else ([], [])
             for o, g, e in zip(out, got, texts):
-                o[5] = m.classes[g] if e and m.known.any() else None
+                o[5] = codes.classes[g] if e and codes.known.any() else None
             yield pd.DataFrame(out, columns=[c.split()[0] for c in FACTS.split(", ")])
 
     return rows.select(F.col(key).cast("long").alias("_k"), F.col(prompt), *answers).mapInPandas(run, FACTS)
