@@ -69,12 +69,16 @@ def furniture(lines: list[str]) -> dict[int, tuple[str, str]]:
     keys = {i: _key(s[i]) for i in short}
     groups: dict[str, list[int]] = {}
     for i in short:
-        k = keys[i]
-        if len(k) < 4:
-            continue
-        home = k if k in groups else next((g for g in groups if abs(len(g) - len(k)) <= 3 and 2 * common_subsequence(g, k) >= HEADER_LIKE * (len(g) + len(k))), k)
-        groups.setdefault(home, []).append(i)
+        if len(keys[i]) >= 4:
+            groups.setdefault(keys[i], []).append(i)
     top = body[0]
+    # lines that stand once join a repeated line, or the first line of the text, that they resemble
+    seeds = [g for g, at in groups.items() if len(at) > 1 or at[0] == top]
+    for g in [g for g, at in groups.items() if len(at) == 1 and at[0] != top]:
+        for home in seeds:
+            if abs(len(home) - len(g)) <= 3 and 2 * common_subsequence(home, g) >= HEADER_LIKE * (len(g) + len(home)):
+                groups[home] = sorted(groups[home] + groups.pop(g))
+                break
 
     def near_page(i: int) -> bool:
         around = [j for j in (i - 1, i - 2, i + 1, i + 2) if 0 <= j < len(s) and s[j]]
@@ -126,7 +130,8 @@ _TRIM = re.compile(rf"^[^\w{_MARKS}]+|[^\w{_MARKS}]+$")
 
 def bare(token: str) -> str:
     """A word without outer punctuation."""
-    return _TRIM.sub("", token)
+    token = token.strip(".,;:!?\"'()।")
+    return token if token.isalnum() else _TRIM.sub("", token)
 
 
 def parse(text: str) -> tuple[list[tuple[str, str, str]], list[str]]:
