@@ -79,12 +79,16 @@ def extracted(spark: SparkSession, path: str, glob: str, extract) -> DataFrame:
 COLUMNS = {"test": "(?i)test|investigation|parameter|name", "value": "(?i)result|value|observed", "unit": "(?i)unit", "reference": "(?i)ref|range|normal|interval"}
 
 
+def _fits(headers: str, pattern: str) -> Column:
+    return F.transform(headers, lambda h: F.coalesce(h.rlike(pattern), F.lit(False)))
+
+
 def laboratory_table(tables: DataFrame, key: str, headers: str, rows: str) -> DataFrame:
     """``key, row_no, test, value, unit, reference`` of tables (``headers array<string>, rows array<array<string>>``).
 
     Columns are told by their headers, the first that fits; rows without a test or a value are dropped.
     """
-    at = {c: F.array_position(F.transform(headers, lambda h, p=p: F.coalesce(h.rlike(p), F.lit(False))), True) for c, p in COLUMNS.items()}
+    at = {c: F.array_position(_fits(headers, p), True) for c, p in COLUMNS.items()}
     cells = tables.select(key, *[a.alias(f"_{c}") for c, a in at.items()], F.posexplode(rows).alias("row_no", "_r"))
     get = lambda c: F.when(F.col(f"_{c}") > 0, F.nullif(F.trim(F.get("_r", (F.col(f"_{c}") - 1).cast("int"))), F.lit("")))
     return cells.select(key, "row_no", *[get(c).alias(c) for c in COLUMNS]).where("test is not null and value is not null")
