@@ -10,7 +10,6 @@ names the node's table.
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +19,12 @@ from pyspark.sql import functions as F
 NODE_SCHEMA = "key long, root string, kind string, steps array<string>, dewey array<int>, fields map<string,string>"
 #: More list fields than this mean that names are data, not a schema; the operator refuses.
 MAX_LIST_FIELDS = 10_000
-_MISSING = object()
+
+
+class _MISSING:
+    """Stands for what is no JSON; a class, since its identity survives the way to a worker."""
+
+
 
 
 def _parse(text: str):
@@ -30,40 +34,34 @@ def _parse(text: str):
         return _MISSING
 
 
-def _as_list(value) -> list | None:
-    """A list however it is delivered: plain, as JSON text, under numbered keys, or wrapped in ``items``."""
+def _as_list(value) -> list[tuple[int, object]] | None:
+    """The places and elements of a list however it is delivered: plain, as JSON text, under numbered keys, or wrapped in ``items``."""
     if isinstance(value, str) and value.lstrip()[:1] in ("[", "{"):
         value = _parse(value)
         if not isinstance(value, (list, dict)):
             return None
-        if isinstance(value, dict):
-            return _as_list(value)
     if isinstance(value, list):
-        return value
+        return list(enumerate(value))
     if isinstance(value, dict) and value:
         if isinstance(value.get("items"), list) and set(value) <= {"items", "total", "count"}:
-            return value["items"]
+            return list(enumerate(value["items"]))
         if all(k.isascii() and k.isdigit() for k in value):
-            places = {int(k): v for k, v in value.items()}
-            # numbered keys may leave gaps; a gap is a place without an element
-            return [places.get(i) for i in range(max(places) + 1)] if max(places) < 4 * len(places) + 16 else [places[i] for i in sorted(places)]
+            return sorted((int(k), v) for k, v in value.items())  # a gap is a place without an element
     return None
 
 
-def _forms(value, name: str, lists: Counter, objects: Counter) -> None:
-    """Counts, per field name, how often a value is list-like and how often a lone object."""
+def _forms(value, name: str, lists: set[str]) -> None:
+    """Adds the schema paths at which a value is a list of objects (or of lists)."""
     stack = [(value, name)]
     while stack:
-        v, n = stack.pop()
+        v, path = stack.pop()
         items = _as_list(v)
         if items is not None:
-            if n and any(isinstance(x, (dict, list)) for x in items):
-                lists[n] += 1
-            stack += [(x, "") for x in items if isinstance(x, (dict, list))]
+            if any(isinstance(x, (dict, list)) for _, x in items):
+                lists.add(path)
+            stack += [(x, f"{path}[]") for _, x in items if isinstance(x, (dict, list))]
         elif isinstance(v, dict):
-            if n:
-                objects[n] += 1
-            stack += list((x, k) for k, x in v.items() if isinstance(x, (dict, list, str)))
+            stack += [(x, f"{path}.{k}") for k, x in v.items() if isinstance(x, (dict, list, str))]
 
 
 def _walk(value, root: str, lists: frozenset) -> Iterator[tuple]:
@@ -72,23 +70,23 @@ def _walk(value, root: str, lists: frozenset) -> Iterator[tuple]:
     def text(v) -> str | None:
         return None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
-    def listed(v, name: str):
+    def listed(v, path: str):
         items = _as_list(v)
-        if items is None and name in lists:
+        if items is None and path in lists:
             if isinstance(v, str) and (p := _parse(v)) is not _MISSING and isinstance(p, dict):
-                return [p]
-            return [v] if isinstance(v, dict) else None
-        if items is not None and isinstance(v, str) and not any(isinstance(x, (dict, list)) for x in items) and name not in lists:
+                return [(0, p)]
+            return [(0, v)] if isinstance(v, dict) else None
+        if items is not None and isinstance(v, str) and path not in lists and not any(isinstance(x, (dict, list)) for _, x in items):
             return None  # a text that merely looks like a list of scalars
         return items
 
-    stack: list[tuple] = [(listed(value, root), root, [], [])]
+    stack: list[tuple] = [(listed(value, root), root, root, [], [])]
     while stack:
-        items, prefix, steps, dewey = stack.pop()
-        for i, x in enumerate(items or []):
-            step, label = f"{prefix}[{i}]", [*dewey, i]
+        items, prefix, path, steps, dewey = stack.pop()
+        for i, x in items or []:
+            step, label, here = f"{prefix}[{i}]", [*dewey, i], f"{path}[]"
             if isinstance(x, list):
-                stack.append((x, step, steps, label))
+                stack.append((list(enumerate(x)), step, here, steps, label))
                 continue
             if x is None:
                 continue
@@ -99,37 +97,36 @@ def _walk(value, root: str, lists: frozenset) -> Iterator[tuple]:
             while inner:
                 at, obj = inner.pop()
                 for k, v in obj.items():
-                    sub = listed(v, k)
+                    sub = listed(v, f"{here}{at}.{k}")
                     if sub is not None:
-                        stack.append((sub, f"{at}.{k}", own, label))
+                        stack.append((sub, f"{at}.{k}", f"{here}{at}.{k}", own, label))
                     elif isinstance(v, dict):
                         inner.append((f"{at}.{k}", v))
-                    elif v is not None or k not in lists:
+                    elif v is not None or f"{here}{at}.{k}" not in lists:
                         fields[f"{at}.{k}"[1:]] = text(v)
             yield "object", own, label, fields
 
 
 def list_fields(records: DataFrame, columns: list[str]) -> list[str]:
-    """Names of fields that hold lists of objects: more often list-like than a lone object, over all records.
+    """Schema paths (``clauses[].risk.findings``) at which any record holds a list of objects.
 
-    An action over all rows; partitions pre-aggregate, so what reaches the driver is one row per field name.
+    How often a path holds a lone object instead makes no difference, nor do other paths with the same name.  An
+    action over all rows; partitions pre-aggregate, so what reaches the driver is one row per path.
     """
 
-    def count(batches):
-        lists, objects = Counter(), Counter()
+    def collect(batches):
+        lists: set[str] = set()
         for b in batches:
             for c in columns:
                 for t in b[c]:
                     if isinstance(t, str) and (v := _parse(t)) is not _MISSING:
-                        _forms(v, c, lists, objects)
-        yield pd.DataFrame([(n, lists[n], objects[n]) for n in lists], columns=["name", "lists", "objects"])
-        yield pd.DataFrame([(n, 0, objects[n]) for n in objects if n not in lists], columns=["name", "lists", "objects"])
+                        _forms(v, c, lists)
+        yield pd.DataFrame({"path": sorted(lists)}, dtype=object)
 
-    counted = records.select(*columns).mapInPandas(count, "name string, lists long, objects long")
-    found = counted.groupBy("name").agg(F.sum("lists").alias("l"), F.sum("objects").alias("o")).where("l > o").select("name").limit(MAX_LIST_FIELDS + 1).collect()
+    found = records.select(*columns).mapInPandas(collect, "path string").distinct().limit(MAX_LIST_FIELDS + 1).collect()
     if len(found) > MAX_LIST_FIELDS:
         raise ValueError("field names are not a schema")
-    return sorted({*(r["name"] for r in found), *columns})
+    return sorted({*(r["path"] for r in found), *columns})
 
 
 def flatten(records: DataFrame, columns: list[str], key: str, lists: list[str] | None = None) -> DataFrame:
@@ -177,8 +174,8 @@ def flat_table(nodes: DataFrame, schema_path: str, fields: list[str], key: str)
 
 
 def table_inventory(nodes: DataFrame) -> DataFrame:
-    """The tables found: ``schema_path, kind, n_rows, n_parents, field_names`` (sorted)."""
+    """The tables found: ``schema_path, kind, n_rows, n_fields, first_field, last_field`` (names in order)."""
     per = nodes.where("kind <> 'rejected'").groupBy("schema_path", "kind").agg(F.count("*").alias("n_rows"))
     names = nodes.where("kind <> 'rejected'").select("schema_path", "kind", F.explode(F.map_keys("fields")).alias("f")).distinct()
-    names = names.groupBy("schema_path", "kind").agg(F.array_sort(F.collect_list("f")).alias("field_names"))
-    return per.join(names, ["schema_path", "kind"], "left").withColumn("field_names", F.array_join("field_names", ","))
+    names = names.groupBy("schema_path", "kind").agg(F.count("*").alias("n_fields"), F.min("f").alias("first_field"), F.max("f").alias("last_field"))
+    return per.join(names, ["schema_path", "kind"], "left").withColumn("n_fields", F.coalesce("n_fields", F.lit(0)))
