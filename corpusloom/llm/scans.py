@@ -187,6 +187,9 @@ EDITS, Q = 2, 2
 #: Words of the sample the trees are trained on (drawn by hash), trees, depth, shrinkage, least score.
 TRAIN_WORDS, TREES, DEPTH, RATE, ACCEPT = 4000, 60, 3, 0.3, 0.5
 
+#: Misread forms up to this many are broadcast to the texts' words; more are joined by a shuffle.
+BROADCAST_MOST = 200_000
+
 _COST = {}
 for _a, _b in CONFUSIONS:
     _COST.setdefault((len(_a), len(_b)), set()).add((_a, _b))
@@ -381,8 +384,9 @@ def repairs(facts: DataFrame, key: str) -> DataFrame:
     counted = shapes.join(v.withColumnsRenamed({"word": "whole", "n": "n1"}), "whole", "left").join(v.withColumnsRenamed({"word": "dashed", "n": "n2"}), "dashed", "left")
     judged = counted.select("left", F.col("right").alias("extra"), F.when(F.coalesce("n2", F.lit(0)) > F.coalesce("n1", F.lit(0)), F.col("dashed")).otherwise(F.col("whole")).alias("made"))
     joined = broken.join(judged, ["left", "extra"]).select(key, F.lit("hyphenation").alias("kind"), F.col("made").alias("item"), F.concat("value", F.lit("\n"), "extra").alias("repaired"))
-    wrong = corrections(vocabulary)
-    misread = facts.select(key, F.explode("words").alias("word")).join(wrong, "word").select(key, F.lit("misread").alias("kind"), F.col("word").alias("item"), F.col("correction").alias("repaired"))
+    wrong = materialize(corrections(vocabulary), "misread")
+    few = wrong.limit(BROADCAST_MOST + 1).count() <= BROADCAST_MOST
+    misread = facts.select(key, F.explode("words").alias("word")).join(F.broadcast(wrong) if few else wrong, "word").select(key, F.lit("misread").alias("kind"), F.col("word").alias("item"), F.col("correction").alias("repaired"))
     return plain.unionByName(single).unionByName(joined).unionByName(misread)
 
 
