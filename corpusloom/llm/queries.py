@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_dir, table
 from . import language, leakage, mixing, pairs, pii, scans, splitting, visual
 
 QUERIES: dict = {}
@@ -64,6 +66,17 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return _pieces(spark, d)
 
 
+@query
+def p3_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of giant files, read by byte ranges: all oversized texts, written a few files to the shared folder."""
+    c = table(spark, d, "clauses").select(F.col("clause_id").alias("id"), F.col("content").alias("text"))
+    r = table(spark, d, "clause_results").select(F.col("result_id").alias("id"), F.col("original").alias("text"))
+    path = f"{shared_dir(spark)}/giants-{uuid.uuid4().hex}"
+    c.unionByName(r).where(F.length("text") > splitting.LIMIT).select("text").repartition(4, F.xxhash64("text")).sortWithinPartitions("text").write.text(path)
+    part = F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
+    return splitting.split_files(spark, path).select(part.alias("file_no"), "piece_no", "start", "end", "natural", "piece")
+
+
 @query
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents whose texts look the same but are stored with different characters."""

@@ -117,41 +117,53 @@ def split_texts(items: DataFrame, keys: list[str], text: str, limit: int = LIMIT
 
     Returns ``*keys, piece_no`` (from 1), ``start, end`` (offsets in the text, end exclusive), ``natural`` (ends
     at a boundary or with the text), ``n_chars`` (of the whole text), ``piece``.  Null texts and texts within the
-    limit give no row.  Repeated keys are told apart by content only if their texts differ.
+    limit give no row.  Repeated keys are told apart by content; equal rows give their pieces each.
     """
     assert overlap < limit // 2 and size > 4 * HALO
-    n, r = F.length("_t"), F.col("_r")
-    big = items.select(*keys, F.col(text).alias("_t")).where(n > limit)
-    ranges = big.withColumn("_r", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")))).select(
-        *keys, n.alias("n_chars"), r, F.when(n > size, F.xxhash64("_t")).otherwise(F.lit(0)).alias("_h"), (F.least(r, F.lit(1)) * HALO).alias("_left"), F.least(F.lit(size), n - r * size).alias("_core"),
-        F.substring(F.col("_t"), r * size + 1 - F.least(r, F.lit(1)) * HALO, F.lit(size + 2 * HALO)).alias("_x"),
-    )
-    cols = ", ".join(f"{k} {t}" for k, t in items.select(*keys).dtypes)
+    n = F.length("_t")
+    big = items.select(*keys, F.col(text).alias("_t"), n.alias("n_chars")).where(n > limit)
+    own = ", ".join(f"{k} {t}" for k, t in items.select(*keys).dtypes)
+    out = [*keys, "piece_no", "start", "end", "natural", "n_chars", "piece"]
 
-    def run(batches):
+    def whole(batches):
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                *own, total, rng, h, left, core, x = row
-                x = x[: left + core + HALO]
-                found, _ = _pieces(x, left, core, (rng + 1) * size < total, limit, overlap)
-                base = rng * size - left
-                out += [(*own, total, rng, h, i, s + base, e + base, nat, x[s:e]) for i, (s, e, nat) in enumerate(found)]
-            yield pd.DataFrame(out, columns=[*keys, "n_chars", "_r", "_h", "_i", "start", "end", "natural", "piece"])
-
-    local = ranges.mapInPandas(run, f"{cols}, n_chars int, _r int, _h long, _i int, start long, end long, natural boolean, piece string")
-    return _numbered(local, keys, size)
-
-
-def _numbered(local: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Piece numbers from local ones: a text of one range has them already, others take prefix sums over ranges."""
-    one = local.where(F.col("n_chars") <= size).withColumn("piece_no", F.col("_i") + 1)
-    many = local.where(F.col("n_chars") > size)
-    counts = many.groupBy(*keys, "_h", "_r").agg(F.count("*").alias("_n"))
+            rows = []
+            for *k, x, total in b.itertuples(index=False):
+                rows += [(*k, i, s, e, nat, total, x[s:e]) for i, (s, e, nat) in enumerate(cut_range(x, 0, len(x), limit, overlap), 1)]
+            yield pd.DataFrame(rows, columns=out)
+
+    one = big.where(F.col("n_chars") <= size).mapInPandas(whole, f"{own}, piece_no int, start long, end long, natural boolean, n_chars int, piece string")
+    return one.unionByName(_giants(big.where(F.col("n_chars") > size), keys, own, limit, overlap, size).select(*out))
+
+
+def _giants(giants: DataFrame, keys: list[str], own: str, limit: int, overlap: int, size: int) -> DataFrame:
+    """Pieces of texts longer than a range: each text is cut into ranges with halos once, the ranges are spread and
+    cut, and prefix sums over the ranges' counts number the pieces.  Equal rows count once."""
+
+    def ranges(batches):
+        for b in batches:
+            for *k, x, total, row in b.itertuples(index=False):
+                for r in range((total - 1) // size + 1):  # a range at a time: no second copy of the text
+                    left = HALO if r else 0
+                    yield pd.DataFrame([(*k, total, row, r, left, min(size, total - r * size), x[r * size - left : (r + 1) * size + HALO])], columns=[*keys, "n_chars", "_h", "_r", "_left", "_core", "_x"])
+
+    def cut(batches):
+        for b in batches:
+            rows = []
+            for *k, total, row, r, left, core, x in b.itertuples(index=False):
+                found, _ = _pieces(x, left, core, (r + 1) * size < total, limit, overlap)
+                base = r * size - left
+                rows += [(*k, total, row, r, i, s + base, e + base, nat, x[s:e]) for i, (s, e, nat) in enumerate(found)]
+            yield pd.DataFrame(rows, columns=[*keys, "n_chars", "_h", "_r", "_i", "start", "end", "natural", "piece"])
+
+    # the id is of content and place in the file, so that a lost executor's rows get the same one again
+    marked = giants.withColumn("_h", F.xxhash64(*keys, "_t"))
+    split = marked.mapInPandas(ranges, f"{own}, n_chars int, _h long, _r int, _left int, _core int, _x string").repartition(*keys, "_h", "_r")
+    local = split.mapInPandas(cut, f"{own}, n_chars int, _h long, _r int, _i int, start long, end long, natural boolean, piece string")
+    counts = local.groupBy(*keys, "_h", "_r", "start").agg(F.count("*").alias("_c")).groupBy(*keys, "_h", "_r").agg(F.count("*").alias("_n"), F.max("_c").alias("_copies"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys, "_h").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    many = many.join(counts.select(*keys, "_h", "_r", before.alias("_b")), [*keys, "_h", "_r"]).withColumn("piece_no", (F.col("_b") + F.col("_i") + 1).cast("int"))
-    cols = [*keys, "piece_no", "start", "end", "natural", "n_chars", "piece"]
-    return one.select(*cols).unionByName(many.select(*cols))
+    sums = counts.select(*keys, "_h", "_r", before.alias("_b"))
+    return local.join(sums, [*keys, "_h", "_r"]).withColumn("piece_no", (F.col("_b") + F.col("_i") + 1).cast("int"))
 
 
 def split_files(spark: SparkSession, path: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int = RANGE) -> DataFrame:
