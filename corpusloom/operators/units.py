@@ -98,6 +98,8 @@ def components(test: str, common: str, molar_mass: float | None) -> list[Compone
 
 #: A dimension table of quantities larger than this is refused rather than collected.
 MAX_QUANTITIES = 5000
+#: Spellings of quantities up to this many are broadcast, more are joined by a shuffle.
+MAX_NAMES = 100_000
 #: Share of printed units taken to be right at first (then estimated within TRUST_RANGE), and of values taken to lie on the grid.
 TRUST_LABEL, TRUST_RANGE, TRUST_GRID = 0.97, (0.9, 0.999), 0.9
 #: Printed decimals are told apart up to this many.
@@ -137,7 +139,6 @@ def _prepared(results: DataFrame, quantities: list, key: str) -> DataFrame:
         F.coalesce(bare(_filled(F.col("test_name_standardized"))), bare(name)).alias("name_key"), F.coalesce(F.col("reference_range"), F.lit("")).alias("range"), "ref_low", "ref_high",
         F.when(F.startswith(F.lower(text), F.lower(name)), F.substring(text, F.length(name) + 1, F.length(text))).otherwise(text).alias("rest"),
     )
-    # one row of strings per result, so that each pattern below stands once in the plan
     base = base.withColumn("raw", F.when(F.col("stored").rlike(r"\d"), F.col("stored")).when(F.trim("stored") == "", F.col("rest")))
     base = base.withColumn(
         "spelling",
@@ -150,7 +151,7 @@ def _prepared(results: DataFrame, quantities: list, key: str) -> DataFrame:
         "spelling", F.when(F.col("unit").isNotNull(), "unit").when(F.col("spelling").isNotNull(), "text").alias("given_in"),
         F.coalesce(F.when(two, end(0)), "ref_low").alias("low"), F.coalesce(F.when(two, end(1)), "ref_high").alias("high"),
     )
-    return clean.join(F.broadcast(alias), "name_key")  # a row per spelling in a table of at most MAX_QUANTITIES
+    return clean.join(F.broadcast(alias) if len(names) <= MAX_NAMES else alias, "name_key")
 
 
 def _fit(cells: list, quantities: list, comps: dict[str, list[Component]]) -> dict[str, tuple]:
@@ -204,8 +205,8 @@ def convert_units(results: DataFrame, lab_units: DataFrame, key: str = "result_i
     Runs two small actions: it collects ``lab_units`` (refused beyond MAX_QUANTITIES rows) and one histogram
     over all rows, of at most quantities x (units + 1) x bins cells whatever the number of rows.
 
-    Rows without a number, without a positive one, or of unknown quantity give no row; repeated rows are
-    converted each; an empty table gives an empty one; other columns of the input are ignored.
+    Zero and negative numbers take their printed unit (posterior 1), else the common one (posterior 0, uncertain).
+    Rows without a number or of unknown quantity give no row; repeated rows are converted each; an empty table gives an empty one; other columns of the input are ignored.
     """
     quantities = _quantities(lab_units)
     names = [q["test_name_standardized"] for q in quantities]
@@ -226,10 +227,13 @@ def convert_units(results: DataFrame, lab_units: DataFrame, key: str = "result_i
     def label_of(quantity: pd.Series, spelling: pd.Series) -> pd.Series:
         return pd.Series(labels(quantity, spelling)[1])
 
-    rows = _prepared(results, quantities, key).where(F.col("number") > 0)
+    # no filter on the number here: it would be evaluated from the texts a second time, beneath the projection
+    rows = _prepared(results, quantities, key)
     near = F.least(F.coalesce("decimals", F.lit(-1)), F.lit(MAX_DECIMALS))
-    cells = rows.groupBy("quantity", "spelling", near.alias("decimals"), F.floor(F.log10("number") * BINS_PER_DECADE).alias("bin")).agg(F.count("*").alias("n"))
+    bins = F.floor(F.log10(F.when(F.col("number") > 0, F.col("number"))) * BINS_PER_DECADE)
+    cells = rows.groupBy("quantity", "spelling", near.alias("decimals"), bins.alias("bin")).agg(F.count("*").alias("n"))
     cells = cells.groupBy("quantity", label_of("quantity", "spelling").alias("label"), "decimals", "bin").agg(F.sum("n").alias("n")).collect()
+    cells = [c for c in cells if c["bin"] is not None]
     model = _fit(cells, quantities, dict(zip(names, comps)))
     width = max([len(cs) for cs in comps], default=1)
     table = lambda f, fill: np.array([[f(i, k) if k < len(cs) else fill for k in range(width)] for i, cs in enumerate(comps)], float).reshape(len(comps), width)
@@ -261,12 +265,17 @@ def convert_units(results: DataFrame, lab_units: DataFrame, key: str = "result_i
             grid = np.where(reach >= 0.5, 0.0, np.where(miss <= reach, np.log(TRUST_GRID / (2 * reach) + 1 - TRUST_GRID), math.log(1 - TRUST_GRID)))
             lp += np.where((step > 0) & ~np.isnan(d[:, None]), grid, 0.0)
             lp = np.nan_to_num(lp, nan=-1e9)
+            # zero and negative numbers lie outside the mixture: their printed unit decides, else the common one
+            flat, absent = x[:, 0] <= 0, np.isnan(x[:, 0])
+            lp[flat] = np.where(given[flat] > 0, 0.0, np.where((label[flat, None] < 0) & (a[flat] == 1) & (b[flat] == 0), -1.0, -1e9))
             best = lp.argmax(1)
             at = np.arange(len(q))
-            return pd.DataFrame({"unit_given": forms.where(forms != "", None), "unit_assigned": units[q, best], "a": a[at, best], "b": b[at, best], "posterior": 1 / np.exp(lp - lp.max(1, keepdims=True)).sum(1)})
+            return pd.DataFrame({"unit_given": forms.where(forms != "", None), "unit_assigned": np.where(absent, None, units[q, best]), "a": a[at, best], "b": b[at, best], "posterior": np.where(flat & (label < 0), 0.0, 1 / np.exp(lp - lp.max(1, keepdims=True)).sum(1))})
+
+    assign = assign.asNondeterministic()  # so that filters above are not answered by a second evaluation
 
     dim = results.sparkSession.createDataFrame([(t, q["step"] or 0.0) for t, q in zip(names, quantities)] or [("", 0.0)], "quantity string, step double")
-    scored = rows.withColumn("u", assign("quantity", "spelling", "number", "decimals", "low", "high")).join(F.broadcast(dim), "quantity")
+    scored = rows.withColumn("u", assign("quantity", "spelling", "number", "decimals", "low", "high")).where("u.unit_assigned is not null").join(F.broadcast(dim), "quantity")
     common = F.col("u.a") * F.col("number") + F.col("u.b")
     return scored.select(
         F.col("key").alias(key), "quantity", "held", "number", "u.unit_given", "given_in", "u.unit_assigned", ((F.col("u.a") == 1) & (F.col("u.b") == 0)).alias("same_number"), common.alias("common_value"),
