@@ -230,25 +230,24 @@ def key_terms(text: Column, most: int = 8) -> Column:
 
 # How laws are cited; names are bounded (16 words of 40 letters), so that no text makes the search explode (kind, pattern, group of the name, of the year, of the section, of the article, ending of the name).
 LAWS = [
-    ("act", r"(?:The\s+)?([A-Za-z]{2,40}(?:\s{1,3}(?:[A-Za-z]{1,40}|&)){0,15}?)\s+Act[,\s]+(\d{4})", 1, 2, 0, 0, " Act"),
+    ("act", r"(?:The\s+)?([A-Za-z]{2,40}+(?:\s{1,3}(?:[A-Za-z]{1,40}+|&)){0,15}?)\s+Act[,\s]+(\d{4})", 1, 2, 0, 0, " Act"),
     ("section_of_act", r"Section\s+(\d+[A-Za-z]?(?:\s*\([a-z0-9]+\))?)\s+of\s+(?:the\s+)?([A-Z][a-zA-Z\s]+?Act)", 2, 0, 1, 0, ""),
     ("section", r"under\s+Section\s+(\d+[A-Za-z]?(?:\s*\([a-z0-9]+\))?)", 0, 0, 1, 0, "(Referenced Law)"), ("article", r"Article\s+(\d+[A-Za-z]?(?:\s*\([a-z0-9]+\))?)", 0, 0, 0, 1, "Constitution of India"),
-    ("rules", r"(?:The\s+)?([A-Za-z]{2,40}(?:\s{1,3}[A-Za-z]{1,40}){0,15}?)\s+Rules[,\s]+(\d{4})", 1, 2, 0, 0, " Rules"), ("code", r"(?:The\s+)?(Indian\s+Penal\s+Code|Code\s+of\s+Civil\s+Procedure|Code\s+of\s+Criminal\s+Procedure|Indian\s+Evidence\s+Act)", 1, 0, 0, 0, ""),
+    ("rules", r"(?:The\s+)?([A-Za-z]{2,40}+(?:\s{1,3}[A-Za-z]{1,40}+){0,15}?)\s+Rules[,\s]+(\d{4})", 1, 2, 0, 0, " Rules"), ("code", r"(?:The\s+)?(Indian\s+Penal\s+Code|Code\s+of\s+Civil\s+Procedure|Code\s+of\s+Criminal\s+Procedure|Indian\s+Evidence\s+Act)", 1, 0, 0, 0, ""),
 ]
 
 
 def _citations(text: Column, order: int, kind: str, pattern: str, name: int, year: int, section: int, article: int, end: str) -> Column:
     """All citations of one kind in a text, as structs."""
-    groups = [F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(n)) for n in (0, name, year, section, article)]
-    fields = ("reference", "law", "year", "section", "article")
-    zipped = F.arrays_zip(*[g.alias(f) for g, f in zip(groups, fields)])
+    whole = f"(?i)(?<![A-Za-z])(?:{pattern})"
 
-    def one(r: Column) -> Column:
-        part = {f: r[f] if n or f == "reference" else F.lit("") for f, n in zip(fields, (0, name, year, section, article))}
-        law = F.concat(F.trim(part["law"]), F.lit(end))
-        return F.struct(F.lit(order).alias("ord"), F.lit(kind).alias("kind"), law.alias("law"), *[part[f].alias(f) for f in ("year", "section", "article", "reference")])
+    def one(m: Column) -> Column:
+        part = lambda n: F.regexp_extract(m, whole, n) if n else F.lit("")
+        law = F.concat(F.trim(part(name)), F.lit(end))
+        return F.struct(F.lit(order).alias("ord"), F.lit(kind).alias("kind"), law.alias("law"), part(year).alias("year"), part(section).alias("section"), part(article).alias("article"), m.alias("reference"))
 
-    return F.transform(zipped, one)
+    # the text is searched once; groups are taken from the matches
+    return F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(0)), one)
 
 
 def law_references(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import grouping, lab, legal, lexicon, medical, pipelines, rollups, vectors
+from ..operators import explain, grouping, lab, legal, lexicon, medical, pipelines, rollups, vectors
 from ..session import table
-from .registry import _CENTROIDS, _LEGAL_RISK, _flag_sql, _list, _match, _n_present, _strip, q
+from .registry import _CENTROIDS, _LEGAL_RISK, _flag_sql, _list, _n_present, _score, _strip, q
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
@@ -256,3 +256,70 @@ def lab_buckets(spark, d):
     t = table(spark, d, "test_results").where("test_name_standardized is not null")
     flag = lab.calculated_flag(F.col("value"), F.col("ref_low"), F.col("ref_high"), F.col("test_name_standardized"))
     return t.select("result_id", flag.alias("flag")).withColumn("bucket", F.when(F.col("flag").startswith("critical"), "critical").when(F.col("flag").isin("low", "high"), "abnormal").otherwise(F.col("flag")))
+
+
+# ---- explanations -------------------------------------------------------------------------------------------------------
+@query()
+def law_explanations(spark, d):
+    """Each citation of a clause in plain words, each distinct one explained once."""
+    laws = legal.law_references(table(spark, d, "clauses"), "clause_id", "content")
+    one = laws.select("law", "section", "article", "year").distinct()
+    told = one.withColumn("explanation", explain.law_explanation(F.col("law"), F.col("section"), F.col("article"), F.col("year")))
+    return laws.join(told, ["law", "section", "article", "year"]).select("clause_id", "law", "explanation")
+
+
+@query("""
+WITH f AS (SELECT clause_id, content, regexp_extract(content, 'Section\\s+\\d+[A-Za-z]?') AS m FROM clauses WHERE content IS NOT NULL), p AS (SELECT *, strpos(content, m) AS pl FROM f WHERE m <> '')
+SELECT clause_id, m AS citation, regexp_replace(substring(content, greatest(1, pl - 100), pl + length(m) + 100 - greatest(1, pl - 100)), '^\\s+|\\s+$', '', 'g') AS context FROM p""")
+def citation_contexts(spark, d):
+    """The first section cited in each clause with its surroundings."""
+    t = table(spark, d, "clauses").where("content is not null").select("clause_id", "content", F.regexp_extract("content", r"Section\s+\d+[A-Za-z]?", 0).alias("citation")).where("citation <> ''")
+    return t.select("clause_id", "citation", explain.context(F.col("content"), F.col("citation")).alias("context"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, abs(embedding[3]::DOUBLE) AS k, abs(embedding[4]::DOUBLE) AS l FROM embeddings),
+p AS (SELECT vec_id, 0.35 * k / (k + l + 0.001) + 0.65 * exp(5 * a) / (exp(5 * a) + exp(5 * b)) AS x, 0.35 * l / (k + l + 0.001) + 0.65 * exp(5 * b) / (exp(5 * a) + exp(5 * b)) AS y FROM e),
+n AS (SELECT vec_id, x / (x + y) AS x, y / (x + y) AS y FROM p)
+SELECT vec_id, CASE WHEN greatest(x, y) < 0.55 THEN 'unknown' WHEN x > y THEN 'legal' ELSE 'medical' END AS domain, round(CASE WHEN greatest(x, y) < 0.55 THEN 1 - greatest(x, y) ELSE greatest(x, y) END, 6) AS confidence FROM n""")
+def ensemble_domains(spark, d):
+    """The ensemble of scores (numbers of each embedding stand for the similarities and keyword sums)."""
+    v = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
+    e = table(spark, d, "embeddings").select("vec_id", explain.ensemble((F.abs(v[2]), F.abs(v[3])), (v[0], v[1])).alias("e"))
+    return e.select("vec_id", "e.domain", F.round("e.confidence", 6).alias("confidence"))
+
+
+@query("""SELECT result_id, CASE WHEN contains(lower(risk_level), 'critical') THEN 'critical' WHEN contains(lower(risk_level), 'high') THEN 'high' WHEN contains(lower(risk_level), 'medium') THEN 'medium' WHEN contains(lower(risk_level), 'low') THEN 'low' ELSE 'none' END AS shown,
+  'Risk: ' || risk_level || ' (' || floor(risk_score * 100 + 0.5)::BIGINT || '%)' AS summary FROM clause_results""")
+def shown_levels(spark, d):
+    """How each simplified clause's risk is shown."""
+    return table(spark, d, "clause_results").select("result_id", explain.shown_level(F.col("risk_level")).alias("shown"), explain.summary_line(F.col("risk_level"), F.col("risk_score")).alias("summary"))
+
+
+@query("SELECT result_id, coalesce(contains(lower(array_to_string(errors, ' ')), 'medical'), false) AS wrong FROM processing_results")
+def wrong_domains(spark, d):
+    """Results refused since the document belongs to the other domain."""
+    return table(spark, d, "processing_results").select("result_id", explain.wrong_domain(F.col("errors"), "medical").alias("wrong"))
+
+
+@query(f"""
+WITH t AS (SELECT result_id, regexp_replace(regexp_replace(original, '\\b(Rs|Mr|Mrs|Dr|No)\\.', '\\1', 'g'), 'w\\.e\\.f\\.?', 'from', 'g') AS t FROM clause_results WHERE original IS NOT NULL)
+SELECT result_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_strip("s")}), lambda s: s <> '') AS sentences FROM t""")
+def short_sentences(spark, d):
+    """Sentences of each original clause for rewriting."""
+    return table(spark, d, "clause_results").where("original is not null").select("result_id", explain.short_sentences(F.col("original")).alias("sentences"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n, {_score(legal.LEGAL_WEIGHTS)} AS a FROM documents WHERE text IS NOT NULL) SELECT doc_id, round(a / sqrt(greatest(n, 1)), 6) AS legal_density FROM w""")
+def legal_density(spark, d):
+    """Legal keywords of each document for its length."""
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", F.round(explain.density(legal.keyword_score(F.col("text"), legal.LEGAL_WEIGHTS), tx.word_count(F.col("text"))), 6).alias("legal_density"))
+
+
+@query("""SELECT language, round(avg(confidence), 6) AS mean_confidence, count(*) FILTER (WHERE text IS NULL OR text = '') / count(*) AS empty_share FROM ocr_results GROUP BY language""")
+def confidence_means(spark, d):
+    """Mean confidence and share of empty scans by stated language."""
+    t = table(spark, d, "ocr_results")
+    return t.groupBy("language").agg(F.round(F.avg("confidence"), 6).alias("mean_confidence"), (F.count_if(F.col("text").isNull() | (F.col("text") == "")) / F.count("*")).alias("empty_share"))
