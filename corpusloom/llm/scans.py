@@ -73,10 +73,11 @@ def furniture(lines: list[str]) -> dict[int, tuple[str, str]]:
             groups.setdefault(keys[i], []).append(i)
     top = body[0]
     # lines that stand once join a repeated line, or the first line of the text, that they resemble
-    seeds = [g for g, at in groups.items() if len(at) > 1 or at[0] == top]
+    seeds = [(g, set(g)) for g, at in groups.items() if len(at) > 1 or at[0] == top]
     for g in [g for g, at in groups.items() if len(at) == 1 and at[0] != top]:
-        for home in seeds:
-            if abs(len(home) - len(g)) <= 3 and 2 * common_subsequence(home, g) >= HEADER_LIKE * (len(g) + len(home)):
+        letters = set(g)
+        for home, theirs in seeds:
+            if abs(len(home) - len(g)) <= 3 and len(letters ^ theirs) <= 6 and 2 * common_subsequence(home, g) >= HEADER_LIKE * (len(g) + len(home)):
                 groups[home] = sorted(groups[home] + groups.pop(g))
                 break
 
@@ -167,7 +168,7 @@ def parse(text: str) -> tuple[list[tuple[str, str, str]], list[str]]:
             carry = _TRIM.sub("", m[1]) + m[2]
             tokens = tokens[:-1]
         words += tokens
-    return found, sorted({w for w in map(bare, words) if w})
+    return found, sorted({w for w in map(bare, set(words)) if w})
 
 
 # ---- correction of misread words ------------------------------------------------------------------------------------
