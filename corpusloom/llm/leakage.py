@@ -53,9 +53,13 @@ def _word_pattern() -> re.Pattern:
     return re.compile(r"[\w" + "".join(marks) + "]+")
 
 
+_ASCII_WORD = re.compile("[a-z0-9]+")
+
+
 def words(text: str) -> list[str]:
     """Runs of letters, digits and marks of the text's consistent form."""
-    return _word_pattern().findall(canonical(text).replace("_", " "))
+    t = canonical(text)
+    return _ASCII_WORD.findall(t) if t.isascii() else _word_pattern().findall(t.replace("_", " "))
 
 
 def passages(n: int) -> list[tuple[int, int]]:
@@ -162,55 +166,56 @@ def fit(items: Items, spark) -> Items:
     return items
 
 
-class _Coder:
-    """Words of documents as vocabulary numbers (-1 if no item has them) and weights, with a bounded memory."""
+class _Coder(dict):
+    """Words of documents as numbers, with a bounded memory: a word of the items has its number in their vocabulary,
+    any other one the size of the vocabulary plus its bucket."""
 
     def __init__(self, items: Items):
-        self.items, self.seen = items, {}
+        super().__init__()
+        self.items, self.size = items, len(items.vocabulary)
+        self.weights = np.concatenate([items.idf[: self.size], items.idf_table]).astype(np.float64)
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = self.items.vocabulary.get(word)
+        self[word] = code = self.size + _bucket(word) if code is None else code
+        return code
 
-    def __call__(self, ws: list[str]) -> tuple[list[int], list[float]]:
-        seen, out = self.seen, []
-        if len(seen) > 500_000:
-            seen.clear()
-        for w in ws:
-            c = seen.get(w)
-            if c is None:
-                c = seen[w] = (self.items.vocabulary.get(w, -1), float(self.items.idf_table[_bucket(w)]))
-            out.append(c)
-        return [c for c, _ in out], [x for _, x in out]
+    def __call__(self, ws: list[str]) -> list[int]:
+        return [self[w] for w in ws]
 
 
 def _search(items: Items, coder: _Coder, texts: list[str]) -> Iterator[tuple[int, int, float, int, int, str]]:
     """(text, item, cosine, longest run up to ``RUN``, common subsequence, kind) of the texts' leaks, a row per passage."""
-    ids, weight, where = [], [], []
+    ids, where = [], []
     for i, t in enumerate(texts):
-        c, x = coder(words(t))
-        at = len(ids)
+        c, at = coder(words(t)), len(ids)
         ids += c
-        weight += x
         where += [(i, at + s, at + e) for s, e in passages(len(c))]
     if not where or not len(items.queries):
         return
-    known, w2 = np.array(ids, np.int32), np.concatenate([[0.0], np.cumsum(np.square(np.array(weight, np.float64)))])
-    mine = np.concatenate([[0.0], np.cumsum(np.where(known >= 0, np.square(np.array(weight, np.float64)), 0.0))])
+    codes = np.array(ids, np.int64)
+    weight, known = coder.weights[codes], codes < coder.size
+    w2, mine = np.concatenate([[0.0], np.cumsum(weight * weight)]), np.concatenate([[0.0], np.cumsum(np.where(known, weight, 0.0))])
     s, e = np.array([a for _, a, _ in where]), np.array([b for _, _, b in where])
     norm2 = np.maximum(w2[e] - w2[s], 1e-12)
-    keep = np.flatnonzero((mine[e] - mine[s]) / norm2 > 1e-3)
+    # a passage is no longer in the latent space than the sum of its known words' weights
+    keep = np.flatnonzero((mine[e] - mine[s]) ** 2 >= THRESHOLD**2 * norm2)
     for at in range(0, len(keep), 2048):
         part = keep[at : at + 2048]
         width = int((e[part] - s[part]).max())
-        index = np.minimum(s[part][:, None] + np.arange(width), e[part][:, None] - 1)
-        inside = (s[part][:, None] + np.arange(width)) < e[part][:, None]
-        codes = np.where(inside, known[index], -1)
-        space = np.vstack([items.space, np.zeros((1, items.space.shape[1]), np.float32)])
         latent = np.zeros((len(part), items.space.shape[1]), np.float32)
         for j in range(width):
-            latent += space[codes[:, j]]
+            word = np.minimum(s[part] + j, e[part] - 1)
+            here = np.flatnonzero((s[part] + j < e[part]) & known[word])
+            latent[here] += items.space[codes[word[here]]]
         latent /= np.sqrt(norm2[part])[:, None].astype(np.float32)
         reach = np.flatnonzero((latent * latent).sum(1) >= THRESHOLD**2)  # a cosine can't exceed the latent length
         if not len(reach):
             continue
-        cosine = latent[reach] @ items.queries.T
+        # not by BLAS, whose threads spin beyond the cores that a task has
+        cosine = np.einsum("ik,jk->ij", latent[reach], items.queries)
         rows, cols = np.nonzero(cosine >= THRESHOLD)
         by: dict[tuple[int, int], tuple[float, int]] = {}
         for r, c, x in zip(rows.tolist(), cols.tolist(), np.minimum(cosine[rows, cols], 1.0).tolist()):
