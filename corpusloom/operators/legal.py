@@ -104,7 +104,7 @@ def keyword_score(text: Column, weights: dict[float, str], cap: int | None = 5)
     low, total = F.lower(text), F.lit(0.0)
     for w, words in weights.items():
         for k in words.split("|"):
-            n = (F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k) if "/" in k else F.regexp_count(low, F.lit(rf"\b{k}\b"))
+            n = (F.length(low) - F.length(F.replace(low, F.lit(k), F.lit("")))) / len(k) if "/" in k else F.when(F.contains(low, F.lit(k)), F.regexp_count(low, F.lit(rf"\b{k}\b"))).otherwise(0)  # most words are absent, and told so without a pattern
             total = total + w * (F.least(n, F.lit(cap)) if cap else n)
     return total
 
@@ -181,10 +181,8 @@ def legal_risk(text: Column) -> Column:
 
 
 def risk_score(level: Column) -> Column:
-    out = F.lit(0.0)
-    for k, v in SCORES.items():
-        out = F.when(level == k, v).otherwise(out)
-    return out
+    """The score of a level; 0 for unknown ones."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in SCORES.items() for x in p]), level), F.lit(0.0))
 
 
 def risk_boost(text: Column) -> Column:
